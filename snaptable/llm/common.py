@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application: their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    code = Path(tempfile.mkdtemp(prefix="snaptable-code-"), "snaptable_code.zip")
+    with zipfile.ZipFile(code, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(code))
+    atexit.register(shutil.rmtree, code.parent, ignore_errors=True)
+    _shipped.add(app)
+
+
 def fresh(name: str, taken: Sequence[str]) -> str:
     """name, or name with underscores in front if the table has a column of that name (in any case)."""
     low = {c.lower() for c in taken}
@@ -84,6 +102,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence[pa.Arr
     inner = fresh("text__in", keep)
     src = df.select(*[df[c] for c in keep], df[text].cast("string").alias(inner))
     schema = T.StructType([*(src.schema[c] for c in keep), *(T.StructField(n, t) for n, t, _ in fields)])
+    ship(df.sparkSession)
     names, kinds, at = [*keep, *(n for n, _, _ in fields)], [a for _, _, a in fields], len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
