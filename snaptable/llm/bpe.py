@@ -69,7 +69,7 @@ class WordTable:
 
 
 DIGESTS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
-IDS = [("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("decoded", T.StringType(), pa.string())]
+IDS = [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded", T.StringType(), pa.string())]
 
 
 def _digests(path):
@@ -96,7 +96,9 @@ def _ids(path):
 
         def f(texts):
             both = [encode(t) for t in texts]
-            return [[np.frombuffer(i, "<u4").tolist() for i, _ in both], [d for _, d in both]]
+            ends = np.cumsum([0, *(len(i) // 4 for i, _ in both)])
+            flat = np.frombuffer(b"".join([i for i, _ in both]), "<i4")
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), [d for _, d in both]]
 
         return f
 
@@ -113,7 +115,7 @@ def encode_digests(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """As encode_digests, with the columns ids (array<long>) and decoded (string) themselves."""
+    """As encode_digests, with the columns ids (array<int>) and decoded (string) themselves."""
     return map_texts(docs, _ids(path or default_path()), IDS, text, ["doc_id"] if keep is None else keep)
 
 

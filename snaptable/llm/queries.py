@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, minhash, mixing, quality, secrets, tokens
+from . import bpe, chat, cotrain, exact, licenses, minhash, mixing, quality, secrets, tokens
 from .common import table
 
 
@@ -38,11 +39,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.classify(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document lies at /source/lang/doc_id."""
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.lit(""), "source", "lang", "doc_id")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_chat_formatting, op4_mixing, op5_bpe, op6_minhash_dedup, op7_exact_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_chat_formatting, op4_mixing, op5_bpe, op6_minhash_dedup, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_mixing": mixing.SQL, "op7_exact_dedup": exact.SQL}
