@@ -79,7 +79,7 @@ class Signer:
         import numpy as np
         import xxhash
 
-        if missing := set(words) - self.words.keys():
+        if missing := {w for w in set(words) if w not in self.words}:
             if len(self.words) + len(missing) > MOST_WORDS:
                 self.words.clear()
                 missing = set(words)
