@@ -55,14 +55,14 @@ class WordTable:
 
         if len(self.words) + len(words) > self.most:
             self.words.clear()
-        new = list(words - self.words.keys())
+        new = [w for w in words if w not in self.words]
         for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self.words[w] = np.asarray(e.ids, "<u4").tobytes(), " ".join([self.pieces[i] for i in e.ids])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as bytes, and the decoded text."""
         words = (text or "").encode().split()
-        if missing := set(words) - self.words.keys():
+        if missing := {w for w in set(words) if w not in self.words}:
             self.add(set(words) if len(self.words) + len(missing) > self.most else missing)
         found = [self.words[w] for w in words]
         return b"".join([x for x, _ in found]), " ".join([p for _, p in found if p])
