@@ -79,7 +79,7 @@ class Trie:
         return count[node]
 
     def tokens(self, words: list[bytes]) -> int:
-        if missing := set(words) - self.counts.keys():
+        if missing := {w for w in set(words) if w not in self.counts}:
             if len(self.score) > self.most:
                 self.clear()
                 missing = set(words)
