@@ -11,7 +11,8 @@ probability sum(min) / sum(max) of their counts: their weighted Jaccard similari
 Links. Distinct texts (nodes) meet in buckets of equal bands. (1) Every member is held against its bucket's hub, the
 smallest member. (2) The links found make components; in buckets with more than one, members of different components
 that were not compared yet are compared, unless their distances to the hub differ by more than 1 - similarity (weighted
-Jaccard distance is a metric, so such a pair can't be similar). No similar pair that shares a bucket stays unconnected,
+Jaccard distance is a metric, so such a pair can't be similar) or their shingle bitmaps differ in more bits than the
+counts of similar texts can (each differing bit is at least one differing count). No similar pair that shares a bucket stays unconnected,
 and a group of n copies costs n comparisons a bucket instead of n * n. A pair of similarity 0.8 misses all 36 bands of
 7 with probability 0.0002; from 0.85 up, below 0.00001.
 """
@@ -184,6 +185,25 @@ def _signer(bands: int, rows: int) -> Signer:
     return Signer(bands, rows)
 
 
+def bitmap(signer: Signer, text: str | None):
+    """The text's distinct shingles as bits of a power of two, at least 8 and below 16 for each of its shingles (64-bit
+    words), and the same folded to half its length: texts of nearly one size can then be compared at one length."""
+    import numpy as np
+
+    s, n = signer.shingles(text)
+    words = max(2, 1 << (int(n.sum()) * 8 - 1).bit_length()) // 64 if len(s) else 0
+    words = max(2, words)
+    out = np.zeros(words, np.uint64)
+    at = (s >> np.uint64(7)).astype(np.int64) & words * 64 - 1
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64), (out[: words // 2] | out[words // 2 :]).view(np.int64)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Number of bits in which two arrays of words differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+
+
 def overlap(a: str, b: str) -> float:
     """sum(min) / sum(max) of the counts of five-word shingles; words themselves are compared, not hashes."""
     import numpy as np
@@ -262,7 +282,8 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     first = materialize(members.where(alike(F.col("weight"), F.col("hub_weight"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     # texts of the nodes that are compared, one row each
     named = materialize(members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep"), "near-named")
-    texts = base.join(named, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    # by a shuffle at every size: what is broadcast here would grow with the input
+    texts = base.join(named.hint("merge"), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -278,10 +299,22 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     mixed = placed.select("key", "comp").unionByName(hubs.select("key", "comp")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     apart = placed.join(sims.select(F.col("a").alias("hub"), F.col("b").alias("node"), "sim"), ["hub", "node"], "left").join(mixed, "key", "left_semi")
     apart = materialize(apart.select("key", "node", "weight", "comp", "sim"), "near-apart")
+
+    def make_bits():
+        signer = _signer(bands, rows)
+        return lambda ts: list(zip(*(bitmap(signer, t) for t in ts), strict=True)) if ts else [[], []]
+
+    longs = T.ArrayType(T.LongType()), pa.list_(pa.int64())
+    bits = map_texts(texts.join(apart.select("node").distinct(), "node", "left_semi"), make_bits, [("bits", *longs), ("half", *longs)], "text", ["node"])
+    apart = apart.join(materialize(bits, "near-bits"), "node").join(nodes.select("node", "bands"), "node")
     x, y = apart.alias("x"), apart.alias("y")
     near = F.col("x.sim").isNull() | F.col("y.sim").isNull() | (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - similarity + 1e-9)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & alike(F.col("x.weight"), F.col("y.weight")) & near)
-    rest = materialize(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "near-rest")
+    long_x, long_y = F.size("x.bits"), F.size("y.bits")
+    differ = F.when(long_x == long_y, _apart(F.col("x.bits"), F.col("y.bits"))).when(long_x == 2 * long_y, _apart(F.col("x.half"), F.col("y.bits"))).when(long_y == 2 * long_x, _apart(F.col("x.bits"), F.col("y.half"))).otherwise(0)
+    few = differ * (1 + similarity) <= (1 - similarity) * (F.col("x.weight") + F.col("y.weight")) + 1e-6
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & alike(F.col("x.weight"), F.col("y.weight")) & near & few & once)
+    rest = materialize(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(first, ["a", "b"], "left_anti"), "near-rest")
     return nodes, links.unionByName(verified(rest, "near-sims-2").where(F.col("sim") >= similarity))
 
 
