@@ -34,7 +34,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def merge_runs(prints: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per distinct key: keep_id (largest doc_id) and group_size, merged in rounds of fan_in runs."""
     level = prints.select(*KEY, F.struct("doc_id").alias("top"), F.lit(1).cast("long").alias("n"), F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"))
-    while runs > 1:
+    while "run" in level.columns:
         runs = -(-runs // fan_in)
         by = [*KEY, "run"] if runs > 1 else KEY
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy(*by).agg(F.max("top").alias("top"), F.sum("n").alias("n"))
