@@ -18,20 +18,29 @@ from pyspark.sql import types as T
 
 from .common import map_texts, materialize
 
-TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License, a copy of the Apache License is at www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
+#: Lines that name a license.
+HEADERS = {
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential, unauthorized copying of this file is strictly prohibited"),
+    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
+}
+#: How license files begin.
+TEXTS = {
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",),
+    "Apache-2.0": ("You may not use this file except in compliance with the License, a copy of the Apache License is at www.apache.org/licenses/LICENSE-2.0",),
+    "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "Proprietary": ("Proprietary and confidential, unauthorized copying of this file is strictly prohibited",),
 }
 COSINE = 0.75
-#: A whole text this near to a template is a license file, whatever its name.
+#: A whole text this near to one of TEXTS is a license file, whatever its name.
 FILE_COSINE = 0.8
 FILE_NAME = re.compile(r"(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$")
 TERM = re.compile(r"[a-z0-9]+(?:[.][0-9]+)*")
@@ -41,7 +50,7 @@ def terms(text: str) -> Counter:
     return Counter(TERM.findall(text.lower()))
 
 
-VOCABULARY = tuple(sorted({t for group in TEMPLATES.values() for x in group for t in terms(x)}))
+VOCABULARY = tuple(sorted({t for group in (*HEADERS.values(), *TEXTS.values()) for x in group for t in terms(x)}))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
@@ -68,7 +77,8 @@ class Matcher:
         self.highest = log(rows + 1) + 1
         self.idf = {t: log((rows + 1) / (held.get(t, 0) + 1)) + 1 for t in VOCABULARY}
         self.names, self.by_term, vectors = [], {}, []
-        for name, group in TEMPLATES.items():
+        self.first_text = sum(map(len, HEADERS.values()))  # templates from here on are TEXTS
+        for name, group in (*HEADERS.items(), *TEXTS.items()):
             for x in group:
                 v = {t: c * self.idf[t] for t, c in terms(x).items()}
                 size = sqrt(sum(w * w for w in v.values()))
@@ -85,8 +95,8 @@ class Matcher:
         self.anchors = frozenset(anchors)
         self.seek = re.compile("(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors))) + ")(?![a-z0-9])")
 
-    def best(self, text: str) -> tuple[float, str | None]:
-        """The greatest cosine to a template, and its license; of equal ones the first name."""
+    def best(self, text: str, first: int = 0) -> tuple[float, str | None]:
+        """The greatest cosine to a template from `first` on, and its license; of equal ones the first name."""
         counts = terms(text)
         dots: dict[int, float] = {}
         square = 0.0
@@ -94,14 +104,15 @@ class Matcher:
             w = c * self.idf.get(t, self.highest)
             square += w * w
             for i, x in self.by_term.get(t, ()):
-                dots[i] = dots.get(i, 0.0) + w * x
+                if i >= first:
+                    dots[i] = dots.get(i, 0.0) + w * x
         if not dots:
             return 0.0, None
         cosine, name = min((-d / sqrt(square), self.names[i]) for i, d in dots.items())
         return min(1.0, -cosine), name
 
     def scan(self, text: str | None) -> tuple[str | None, float, int, int, float, str | None]:
-        """(license, cosine, start, end) of the best line at or over the threshold (of ties the first; code points), else (None, 0, -1, -1); then whole-text cosine and license."""
+        """(license, cosine, start, end) of the best line at or over the threshold (of ties the first; code points), else (None, 0, -1, -1); then the whole text's cosine to TEXTS and license."""
         text = text or ""
         low = text.lower()
         if len(low) != len(text):  # a few capitals grow in lower case: keep offsets true
@@ -116,7 +127,7 @@ class Matcher:
             cosine, name = self.best(text[start:end])
             if cosine >= self.threshold and cosine > found[1]:
                 found = name, cosine, start, end
-        whole = self.best(text) if seen >= 0 else (0.0, None)
+        whole = self.best(text, self.first_text) if seen >= 0 else (0.0, None)
         return *found, *whole
 
 
@@ -127,7 +138,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """One row per row of docs: doc_id, license, origin (own, inherited, none), cosine, start, end, license_dir.
 
     own: the text's best line reaches the threshold. Else inherited: the nearest directory at or above the file's that
-    holds a license file (by its name, with such a line, or by its whole text) gives its license; of several license
+    holds a license file (by its name, with such a line, or by its whole text, which is held against TEXTS) gives its license; of several license
     files in a directory the one of highest cosine counts, then the least name. Paths are split at "/"; a null path is
     in no directory and inherits nothing. A null text counts as empty. start and end are code points, -1 if not own.
     """
