@@ -293,12 +293,13 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     sims = verified(first, "near-sims-1")
     links = sims.where(F.col("sim") >= similarity)
     comp = materialize(components(links, "near-comp-1"), "near-comp-1")
-    # buckets whose members are not all in one component
+    # buckets whose members are not all in one component; big: the one that most of a bucket's members are in
     placed = members.select("key", "node", "weight", "hub").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     hubs = members.select("key", F.col("hub").alias("node"), F.col("hub_weight").alias("weight"), "hub").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.select("key", "comp").unionByName(hubs.select("key", "comp")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    apart = placed.join(sims.select(F.col("a").alias("hub"), F.col("b").alias("node"), "sim"), ["hub", "node"], "left").join(mixed, "key", "left_semi")
-    apart = materialize(apart.select("key", "node", "weight", "comp", "sim"), "near-apart")
+    held = placed.select("key", "comp").unionByName(hubs.select("key", "comp")).groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("big"))
+    apart = placed.join(sims.select(F.col("a").alias("hub"), F.col("b").alias("node"), "sim"), ["hub", "node"], "left").join(mixed, "key")
+    apart = materialize(apart.select("key", "node", "weight", "comp", "sim", (F.col("comp") != F.col("big")).alias("minor")), "near-apart")
 
     def make_bits():
         signer = _signer(bands, rows)
@@ -313,8 +314,10 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     differ = F.when(long_x == long_y, _apart(F.col("x.bits"), F.col("y.bits"))).when(long_x == 2 * long_y, _apart(F.col("x.half"), F.col("y.bits"))).when(long_y == 2 * long_x, _apart(F.col("x.bits"), F.col("y.half"))).otherwise(0)
     few = differ * (1 + similarity) <= (1 - similarity) * (F.col("x.weight") + F.col("y.weight")) + 1e-6
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & alike(F.col("x.weight"), F.col("y.weight")) & near & few & once)
-    rest = materialize(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(first, ["a", "b"], "left_anti"), "near-rest")
+    # no two members of the big component meet here, so a large group with a few strangers costs its size, not its square
+    other = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
+    rest = x.where("x.minor").join(y, (F.col("x.key") == F.col("y.key")) & other & alike(F.col("x.weight"), F.col("y.weight")) & near & few & once)
+    rest = materialize(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(first, ["a", "b"], "left_anti"), "near-rest")
     return nodes, links.unionByName(verified(rest, "near-sims-2").where(F.col("sim") >= similarity))
 
 
