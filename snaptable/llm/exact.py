@@ -64,7 +64,8 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     gone = materialize(gone, "exact-dropped")
     mine = fresh("digest_", docs.columns)
     marked = docs.withColumn(mine, F.unhex(F.sha2(normalized(docs[text]).cast("binary"), 256)))
-    return marked.join(gone, marked[doc_id].eqNullSafe(gone.gone_id) & (marked[mine] == gone.gone_digest), "left_anti").drop(mine)
+    # by a shuffle at every size: the dropped rows grow with the input, so a small table is no measure for a large one
+    return marked.join(gone.hint("merge"), marked[doc_id].eqNullSafe(gone.gone_id) & (marked[mine] == gone.gone_digest), "left_anti").drop(mine)
 
 
 SQL = """
