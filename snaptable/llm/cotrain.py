@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts
-from .mixing import key_hash
+from .mixing import HASH_BITS, key_hash
 from .quality import SYMBOLS
 
 MOST_LABELLED, MOST_POOL, ROUNDS, SURE, A_ROUND = 20_000, 20_000, 3, 0.97, 0.1
@@ -162,13 +162,22 @@ FEATURES = [("dense", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))]
 SCORES = [("score", T.DoubleType(), pa.float64()), ("kept", T.BooleanType(), pa.bool_())]
 
 
+def _least(ids: DataFrame, most: int) -> DataFrame:
+    """The `most` rows of smallest hash, or all. Every task would hand its own `most` rows to the last one: a threshold on
+    the hash that about 2 * most rows pass drops the rest before, however many tasks there are. (That fewer than
+    `most` pass it has a probability below 1e-20; the sample would then be smaller.)"""
+    rank = key_hash(F.col("doc_id"), "co-training")
+    n = ids.count()
+    if n > 2 * most + 400:
+        ids = ids.where(rank < int(2**HASH_BITS * (2 * most + 400) / n))
+    return ids.orderBy(rank, "doc_id").limit(most)
+
+
 def sample(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
     """doc_id, label (null in the pool) of the rows to learn from: at most most_labelled + most_pool."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("label"))
-    rank = key_hash(F.col("doc_id"), "co-training")
-    some = known.select("doc_id", "label").orderBy(rank, "doc_id").limit(most_labelled)
-    rest = docs.select("doc_id").where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(rank, "doc_id").limit(most_pool)
-    return some.unionByName(rest.withColumn("label", F.lit(None).cast("int")))
+    rest = docs.select("doc_id").where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti").distinct()
+    return _least(known, most_labelled).unionByName(_least(rest, most_pool).withColumn("label", F.lit(None).cast("int")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, rounds: int = ROUNDS) -> CoModel:
