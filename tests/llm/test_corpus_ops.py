@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -378,3 +379,22 @@ def test_license_edges(docs, clashing, none, fixture_rows):
     at = lambda d: d.withColumn("path", F.concat_ws("/", F.lit(""), "source", "lang", "doc_id"))
     assert licenses.scan(at(docs)).count() == licenses.scan(at(clashing)).count() == len(fixture_rows)
     assert licenses.scan(at(none)).count() == 0
+
+
+COPYRIGHT = "Copyright (c) 2019, The Frobnicator Authors\nAll rights reserved.\n\n"
+
+
+@pytest.mark.parametrize("name", sorted(licenses.WHOLE))
+def test_license_files(name):
+    """Whole license files, as they are and wrapped anew, are told apart; so are source files that begin with a header."""
+    m = licenses.Matcher(1000, {t: 300 for t in ("the", "of", "and", "to", "in", "a", "this", "all", "is", "for")})
+    text = licenses.WHOLE[name]
+    for x in (COPYRIGHT + text, COPYRIGHT + "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n")), text.replace("\n", "\r\n")):
+        got = m.scan(x)
+        assert got[0] == got[5] == name and got[4] >= licenses.FILE_COSINE
+    code = "\n".join(f"def frob_{i}(a_{i}):\n    return a_{i} * {i}" for i in range(200))
+    for x in licenses.TEXTS.get(name, ()):
+        head = textwrap.fill(x, 70, initial_indent="# ", subsequent_indent="# ")
+        got = m.scan(f"#!/bin/x\n# Copyright 2019 Frobnicator\n{head}\n{code}")
+        assert got[0] == name and got[3] > got[2] > 0 and got[1] >= licenses.COSINE
+    assert m.scan("software\nlicense license\nthe work\n" + code)[0] is None
