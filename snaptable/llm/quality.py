@@ -2,6 +2,7 @@
 
 zstandard's ratio (bytes before / after) of the whole text and of fixed chunks has to lie in a band that depends on the
 length: short texts compress less. Above the band a text is repetitive, below it is incompressible (encoded data).
+Hexadecimal digits compress like prose, so they are told by their bytes.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from pyspark.sql import types as T
 from .common import SPACES, fresh, map_texts
 
 SYMBOLS = "#*$%&|<>"
+HEX_DIGITS, HEX_LETTERS = b"0123456789", b"abcdefABCDEF"
 MIN_WORDS = 50
 LEVEL, CHUNK, LEAST_CHUNK = 3, 4096, 512
 #: (bytes below, least ratio, greatest ratio)
-BANDS = ((1024, 1.05, 2.8), (4096, 1.15, 3.2), (16384, 1.25, 3.6), (float("inf"), 1.3, 4.2))
+#: The least ratios lie above wrapped base64 (to 1.33; in words of six 1.31 at 1,000 bytes, 1.38 at most), from 4,096 bytes on (full chunks
+#: too) above base32 (1.59), and below pieces of manuals, READMEs, licenses and translations in 16 languages (1.42 and more from
+#: 1,024 bytes, 1.80 from 4,096). Below 1,024 bytes both overlap by a little.
+BANDS = ((384, 1.18, 2.8), (512, 1.24, 2.8), (768, 1.28, 2.8), (1024, 1.33, 2.8), (4096, 1.4, 3.2), (16384, 1.62, 3.6), (float("inf"), 1.62, 4.2))
 #: A text goes if more than this share of its chunks is out of band.
 BAD_CHUNKS = 0.25
 
@@ -55,6 +60,13 @@ def in_band(raw: int, packed: int, bands=BANDS) -> bool:
     return low <= raw / packed <= high
 
 
+def is_hex(raw: bytes) -> bool:
+    """At least nine tenths of the bytes besides white space are hexadecimal digits, of both kinds as in encoded data (a table of numbers has few letters)."""
+    n = len(raw.translate(None, SPACES.encode()))
+    letters, digits = n - len(raw.translate(None, HEX_LETTERS + SPACES.encode())), n - len(raw.translate(None, HEX_DIGITS + SPACES.encode()))
+    return n > 0 and 10 * (letters + digits) >= 9 * n and 5 * letters >= n and 5 * digits >= 2 * n
+
+
 def _maker(bands, chunk, bad_share):
     import zstandard
 
@@ -77,8 +89,8 @@ def _maker(bands, chunk, bad_share):
                 part = raw[i : i + chunk]
                 if len(part) >= LEAST_CHUNK:
                     parts += 1
-                    bad += not in_band(len(part), len(zip_(part)), bands)
-        kept = not failed and in_band(len(raw), packed, bands) and bad <= bad_share * parts
+                    bad += is_hex(part) or not in_band(len(part), len(zip_(part)), bands)
+        kept = not failed and not is_hex(raw) and in_band(len(raw), packed, bands) and bad <= bad_share * parts
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, ratio, parts, bad, kept
 
     return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[] for _ in FIELDS]
@@ -88,7 +100,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ba
     """The columns `keep` of docs (default: doc_id) plus FIELDS, one row per row.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows of three words. kept: not base_failed,
-    the whole text in the band of its length, and at most `bad_share` of its chunks (of 512 bytes or more) out of theirs.
+    the whole text in the band of its length and not hexadecimal, and at most `bad_share` of its chunks (of 512 bytes or more) out of theirs or hexadecimal.
     A null text counts as empty: no words, so base_failed; ratio is 1. Rows are judged one by one, so ties and repeated
     rows need no rule. Work and memory grow with one text at a time.
     """

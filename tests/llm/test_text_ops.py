@@ -57,6 +57,30 @@ def test_quality_bands(spark):
     assert not got[4].kept and got[4].n_bad_chunks > 0.25 * got[4].n_chunks
 
 
+def test_quality_encoded():
+    """Base64 and hexadecimal data go at every length, wrapped or in short words; random words and licenses of the same lengths stay."""
+    import base64
+    import random
+    import textwrap
+
+    from snaptable.llm.license_texts import WHOLE
+
+    rng = random.Random(5)
+    judge = quality._maker(quality.BANDS, quality.CHUNK, quality.BAD_CHUNKS)
+    failed, kept = [n for n, _, _ in quality.FIELDS].index("base_failed"), -1
+    sizes = (450, 500, 700, 900, 1023, 1024, 3000, 4095, 4096, 4500, 15_000, 17_000, 400_000)
+    for encode in (lambda b: base64.b64encode(b).decode(), bytes.hex):
+        for width in (6, 8, 76):
+            texts = ["\n".join(textwrap.wrap(encode(rng.randbytes(n)), width))[:n] for n in sizes]
+            got = judge(texts)
+            assert not any(got[kept]) and (width == 76 or not any(got[failed])), (width, got[kept])
+            assert not got[failed][-1]
+    whole = " ".join(WHOLE["GPL-3.0"].split())
+    numbers = "\n".join(f"{rng.random():.6f} {rng.random():.6f}" for _ in range(500)).encode()
+    assert all(judge([whole[:n] for n in sizes[:-1]])[kept])
+    assert not quality.is_hex(numbers) and not quality.is_hex(b"") and not quality.is_hex(b"a bad face decade facade") and quality.is_hex(b"DEADbeef 01234567")
+
+
 def test_quality_long_alphabet():
     words = [str(i).encode() for i in range(2_200_000)]
     assert quality.repeated_words(words) == 0
