@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snaptable.llm import chat, cotrain, exact, licenses, minhash, mixing
+from snaptable.llm.queries import op9_license_scan
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -398,3 +399,11 @@ def test_license_files(name):
         got = m.scan(f"#!/bin/x\n# Copyright 2019 Frobnicator\n{head}\n{code}")
         assert got[0] == name and got[3] > got[2] > 0 and got[1] >= licenses.COSINE
     assert m.scan("software\nlicense license\nthe work\n" + code)[0] is None
+
+
+def test_license_query_inherits(spark, tmp_path):
+    """The registered query itself: a document that is a license text gives its license to its directory."""
+    rows = [(1, COPYRIGHT + licenses.WHOLE["BSD-3-Clause"], "en", "code", 1), (2, "print(1)", "en", "code", 1), (3, "print(2)", "fr", "code", 1), (4, None, "en", "code", 1), (5, licenses.WHOLE["MIT"] + "\n", "fr", "web", 1), (6, "x", "fr", "web", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin) for r in op9_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("BSD-3-Clause", "own"), 2: ("BSD-3-Clause", "inherited"), 3: (None, "none"), 4: ("BSD-3-Clause", "inherited"), 5: ("MIT", "own"), 6: ("MIT", "inherited")}
