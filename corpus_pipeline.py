@@ -1,7 +1,9 @@
 """A training corpus from `documents`: quality rules, exact dedup, near dedup, source mix, BPE.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
-documents; the last returns tokens. run() writes each stage's result to the shared folder and reads it again.
+documents, extra ones too; the last returns tokens. run() writes each stage's result to the shared folder, reads it
+again, and deletes the stage's own tables and its predecessor's. An empty table runs through to an empty result; what
+each stage does with nulls, ties, repeated rows and very long texts is said at the operator that it calls.
 """
 
 from __future__ import annotations
@@ -12,22 +14,22 @@ from snaptable.llm import bpe, common, exact, minhash, mixing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and compression bands reject go."""
+    """Documents that the rules and compression bands reject go; a null or empty text has no words and goes too."""
     return quality.drop_low_quality(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document of largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased) the document of largest doc_id stays; of rows that repeat id and text, one."""
     return exact.drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of smallest doc_id stays."""
+    """Of each class of near-duplicates the document of smallest doc_id stays (a null one only if there is no other)."""
     return minhash.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: 0, 1 or 2 times."""
+    """Every document as often as the mix takes it: 0, 1 or 2 times. Null sources are one source."""
     return mixing.mixed_rows(docs)
 
 
@@ -42,7 +44,10 @@ STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch() as keep:
+            after = keep(common.materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        common.discard(docs)
+        docs = after
     return docs
 
 

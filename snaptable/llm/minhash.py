@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, materialize, ship
+from .common import discard, drop_rows, join_hot, map_texts, materialize, probable, scratch, ship, slices
 from .exact import normalized
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -36,6 +36,8 @@ FIRST_SLAB = 2.0**-12
 MOST_WORDS = 400_000
 #: Shingles of texts that are signed together.
 BATCH = 60_000
+#: Pairs of one text, or members of one bucket, that are dealt to one task.
+MOST_PAIRS = 256
 
 
 def node_key(text: Column) -> Column:
@@ -229,12 +231,14 @@ def overlap(a: str, b: str) -> float:
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b) -> (a, b, sim)."""
+    """(a, b, text_a, text_b) -> (a, b, sim), a few megabytes of texts at a time."""
 
     def run(batches):
-        for t in batches:
-            sims = [overlap(x.as_py() or "", y.as_py() or "") for x, y in zip(t.column("text_a"), t.column("text_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+        for batch in batches:
+            for start, n in slices(batch.column(2), batch.column(3)):
+                t = batch.slice(start, n)
+                sims = [overlap(x.as_py() or "", y.as_py() or "") for x, y in zip(t.column(2), t.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     ship(pairs.sparkSession)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, sim double")
@@ -243,20 +247,31 @@ def _verify(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """(a, b) -> (node, comp) for every node with a link, comp the smallest node: alternating large-star and small-star.
 
-    Each step gives every node the least neighbour by one aggregation and one join; nothing but two numbers a round
-    reaches the driver. Each round's links are written to the shared folder.
+    Each step gives every node the least neighbour by one aggregation and one join; nothing but three numbers a round
+    reaches the driver. Centres of many links are broadcast (join_hot), so no task gets all of a centre's links. Each
+    round's links are written to the shared folder and read from there; the tables of earlier rounds are deleted.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), label)
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    def stars(rows: DataFrame, centre: str, other: str, total: int) -> DataFrame:
+        """rows (all links of each centre) with the least neighbour m of its centre."""
+        least = materialize(rows.groupBy(F.col(centre).alias("c")).agg(F.min(other).alias("m"), F.count("*").alias("n")), label)
+        return join_hot(rows, least.withColumnRenamed("c", centre), centre, "n", total)
+
     seen = mark(now)
     while seen[0]:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("m", "c").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select("v", F.col("m").alias("u")).where("u <> v").distinct()
-        down = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-        small = large.join(down, F.col("v") == F.col("c"))
-        nxt = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
-        now = materialize(nxt, label)
+        with scratch() as keep:
+            both = materialize(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), label)
+            large = stars(both, "u", "v", 2 * seen[0]).where("v > u").select("v", F.least("m", "u").alias("u")).where("u <> v").distinct()
+            large = materialize(large, label)
+            small = stars(large, "v", "u", large.count())
+            nxt = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
+            nxt = keep(materialize(nxt, label))
+        discard(now)
+        now = nxt
         if (mine := mark(now)) == seen:
             break
         seen = mine
@@ -275,31 +290,42 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     signed = map_texts(base, make, fields, "text", ["doc_id", "node"])
     nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-nodes")
     spots = nodes.where("weight > 0").select("node", "weight", F.explode("bands").alias("key"))
-    buckets = spots.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.weight").alias("hub_weight"))
-    members = spots.join(materialize(buckets, "near-buckets"), F.col("key") == F.col("k")).drop("k")
-    members = materialize(members.where("node <> hub"), "near-members")
+    # buckets of two nodes or more: hub, and how many members
+    buckets = spots.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.weight").alias("hub_weight"), "size")
+    buckets = materialize(buckets, "near-buckets")
+    some = spots.where(probable(F.col("key"), buckets.select("key")))
+    members = materialize(join_hot(some, buckets, "key", "size", buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]).where("node <> hub"), "near-members")
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity
     first = materialize(members.where(alike(F.col("weight"), F.col("hub_weight"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    # texts of the nodes that are compared, one row each
-    named = materialize(members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep"), "near-named")
-    # by a shuffle at every size: what is broadcast here would grow with the input
-    texts = base.join(named.hint("merge"), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    # texts of the nodes in such buckets, one row each; other texts stay where they are
+    wanted = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
+    named = materialize(wanted.join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep"), "near-named")
+    may = base.where(probable(F.xxhash64("doc_id"), named.select(F.xxhash64("rep").alias("h"))))
+    texts = may.join(named, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(_verify(right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")), label)
+        """pairs (a, b) with their similarity. A text that many pairs have as a is sent once for each MOST_PAIRS of them."""
+        degree = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), f"{label}-degree")
+        total = pairs.count()
+        salted = join_hot(pairs, degree, "a", "n", total).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MOST_PAIRS)))
+        left = texts.join(degree.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.explode(F.expr(f"sequence(0L, ceil(n / {MOST_PAIRS}) - 1)")).alias("salt"))
+        right = salted.drop("n").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return materialize(_verify(right.join(left, ["a", "salt"])), label)
 
     sims = verified(first, "near-sims-1")
     links = sims.where(F.col("sim") >= similarity)
     comp = materialize(components(links, "near-comp-1"), "near-comp-1")
     # buckets whose members are not all in one component; big: the one that most of a bucket's members are in
-    placed = members.select("key", "node", "weight", "hub").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    hubs = members.select("key", F.col("hub").alias("node"), F.col("hub_weight").alias("weight"), "hub").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    held = placed.select("key", "comp").unionByName(hubs.select("key", "comp")).groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("big"))
-    apart = placed.join(sims.select(F.col("a").alias("hub"), F.col("b").alias("node"), "sim"), ["hub", "node"], "left").join(mixed, "key")
-    apart = materialize(apart.select("key", "node", "weight", "comp", "sim", (F.col("comp") != F.col("big")).alias("minor")), "near-apart")
+    own = lambda rows: rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    hubs = members.select("key", F.col("hub").alias("node"), F.col("hub_weight").alias("weight"), "hub", "size").distinct()
+    placed = materialize(own(members.select("key", "node", "weight", "hub", "size").unionByName(hubs.select("key", "node", "weight", "hub", "size"))), "near-placed")
+    held = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("members")).where("comps > 1").select("key", F.col("top.comp").alias("big"), "members")
+    mixed = materialize(mixed, "near-mixed")
+    some = placed.where("node <> hub").join(sims.select(F.col("a").alias("hub"), F.col("b").alias("node"), "sim"), ["hub", "node"], "left")
+    apart = join_hot(materialize(some, "near-held"), mixed, "key", "members", placed.count())
+    apart = materialize(apart.select("key", "node", "weight", "size", "comp", "sim", (F.col("comp") != F.col("big")).alias("minor")), "near-apart")
 
     def make_bits():
         signer = _signer(bands, rows)
@@ -308,7 +334,10 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     longs = T.ArrayType(T.LongType()), pa.list_(pa.int64())
     bits = map_texts(texts.join(apart.select("node").distinct(), "node", "left_semi"), make_bits, [("bits", *longs), ("half", *longs)], "text", ["node"])
     apart = apart.join(materialize(bits, "near-bits"), "node").join(nodes.select("node", "bands"), "node")
-    x, y = apart.alias("x"), apart.alias("y")
+    # a bucket is dealt to as many tasks as it has MOST_PAIRS members; its minor members go to each of them
+    deals = F.ceil(F.col("size") / MOST_PAIRS)
+    x = apart.where("minor").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).alias("x")
+    y = apart.withColumn("deal", F.pmod(F.xxhash64("node"), deals)).alias("y")
     near = F.col("x.sim").isNull() | F.col("y.sim").isNull() | (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - similarity + 1e-9)
     long_x, long_y = F.size("x.bits"), F.size("y.bits")
     differ = F.when(long_x == long_y, _apart(F.col("x.bits"), F.col("y.bits"))).when(long_x == 2 * long_y, _apart(F.col("x.half"), F.col("y.bits"))).when(long_y == 2 * long_x, _apart(F.col("x.bits"), F.col("y.half"))).otherwise(0)
@@ -316,36 +345,59 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
     # no two members of the big component meet here, so a large group with a few strangers costs its size, not its square
     other = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
-    rest = x.where("x.minor").join(y, (F.col("x.key") == F.col("y.key")) & other & alike(F.col("x.weight"), F.col("y.weight")) & near & few & once)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.deal") == F.col("y.deal")) & other & alike(F.col("x.weight"), F.col("y.weight")) & near & few & once)
     rest = materialize(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(first, ["a", "b"], "left_anti"), "near-rest")
     return nodes, links.unionByName(verified(rest, "near-sims-2").where(F.col("sim") >= similarity))
 
 
+def _tied(docs: DataFrame, doc_id: str, text: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, classes): of nodes in a class of two rows or more, classes has the class and the node's rows, links and best similarity."""
+    nodes, links = near_links(docs, doc_id, text, similarity, bands, rows)
+    comp = components(links.select("a", "b"), "near-comp")
+    ends = links.select(F.col("a").alias("node"), "sim").unionByName(links.select(F.col("b").alias("node"), "sim")).groupBy("node").agg(F.count("*").alias("n_links"), F.max("sim").alias("nearest"))
+    tied = nodes.select("node", "rep", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tied = materialize(tied, "near-tied")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first")
+    sizes = tied.groupBy("comp").agg(first, F.sum("n").alias("class_size"), F.count("*").alias("texts")).where("class_size > 1")
+    classes = join_hot(tied.select("node", "n", "comp"), materialize(sizes, "near-sizes"), "comp", "texts", tied.count()).join(ends, "node", "left")
+    classes = classes.select("node", "n", F.col("first.rep").alias("class_rep"), F.col("first.node").alias("class_node"), "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "nearest")
+    return nodes, materialize(classes, "near-classes")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row of docs (doc_id, node) with what classes says of its node."""
+    rows = materialize(docs.select(docs[doc_id].alias("doc_id"), node_key(docs[text]).alias("node")), "near-ids")
+    return join_hot(rows, classes, "node", "n", nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "left")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept.
+    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept, n_links, similarity, node.
 
     A class is what links of similarity `similarity` or more over five-word shingles connect; words are runs of other
     than white space, A-Z in lower case. kept: the class's row of smallest doc_id stays. A null doc_id counts as larger
     than any other. Texts without words (null, empty) are classed with texts of exactly the same form only. Texts of one
-    to four words are similar if they have the same words in order. Rows that repeat both id and text are marked alike.
+    to four words are similar if they have the same words in order. Rows that repeat both id and text are marked alike
+    (drop_near keeps one). n_links: the other texts that this one was compared with and found similar to, which are
+    enough to connect every class, not all there are; similarity: the greatest over them, 1 where rows have the same
+    text, null without any. Other columns are not read, whatever their names; an empty table gives an empty result.
+    Very long texts are signed and compared whole, one after the other.
     """
-    nodes, links = near_links(docs, doc_id, text, similarity, bands, rows)
-    comp = components(links.select("a", "b"), "near-comp")
-    tied = materialize(nodes.select("node", "rep", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-tied")
-    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first")
-    sizes = tied.groupBy("comp").agg(first, F.sum("n").alias("class_size")).where("class_size > 1")
-    classes = tied.select("node", "comp").join(sizes, "comp").select(F.col("node").alias("k"), F.col("first.rep").alias("class_rep"), F.col("first.node").alias("class_node"), "class_size")
-    classes = materialize(classes, "near-classes")
-    rows_ = docs.select(docs[doc_id].alias("doc_id"), node_key(docs[text]).alias("node")).join(classes, F.col("node") == F.col("k"), "left")
-    alone = F.col("class_size").isNull()
-    kept = alone | (F.col("doc_id").eqNullSafe(F.col("class_rep")) & (F.col("node") == F.col("class_node")))
-    return rows_.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_rep")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"), "node")
+    with scratch() as keep:
+        nodes, classes = _tied(docs, doc_id, text, similarity, bands, rows)
+        rows_ = _rows(docs, doc_id, text, nodes, classes)
+        alone = F.col("class_size").isNull()
+        kept = alone | (F.col("doc_id").eqNullSafe(F.col("class_rep")) & (F.col("node") == F.col("class_node")))
+        out = rows_.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_rep")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("n") > 1, 1.0).otherwise(F.col("nearest")).alias("similarity"), "node")
+        return keep(materialize(out, "near-rows"))
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that near_groups drops, all columns kept."""
-    gone = near_groups(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
-    gone = materialize(gone, "near-dropped")
-    mine = fresh("node_", docs.columns)
-    marked = docs.withColumn(mine, node_key(docs[text]))
-    return marked.join(gone, marked[doc_id].eqNullSafe(gone.gone_id) & (marked[mine] == gone.gone_node), "left_anti").drop(mine)
+    """docs without the rows that near_groups drops, all columns kept, whatever their names; of rows that repeat both id
+    and text the one of least JSON stays. Nulls, ties, long texts and empty tables are as in near_groups. Rows stay where
+    they are, but for those whose id may be one of a dropped row. docs is read five times."""
+    with scratch() as keep:
+        groups = near_groups(docs, doc_id, text)
+        keys = F.col("doc_id").alias("g_id"), F.col("node").alias("g_digest")
+        gone = keep(materialize(groups.where("NOT kept").select(*keys).distinct(), "near-gone"))
+        again = keep(materialize(groups.where("kept AND class_size > 1").groupBy(*keys).count().where("count > 1").select("g_id", "g_digest"), "near-again"))
+    return drop_rows(docs, gone, again, doc_id, node_key(docs[text]))

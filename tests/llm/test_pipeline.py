@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from snaptable.llm import bpe, mixing, quality
+from snaptable.llm import bpe, common, mixing, quality
 from snaptable.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_corpus_ops import brute_exact, brute_near
@@ -28,7 +28,7 @@ def test_pipeline(spark, tmp_path, fixture_rows):
     exact = {(i, h) for i, _, _, kept, h in brute_exact(rows) if kept}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     digest = lambda t: hashlib.sha256(t.translate(low).encode()).hexdigest()
-    rows = [r for r in rows if (r[0], digest(r[1])) in exact]
+    rows = list({(r[0], digest(r[1])): r for r in rows if (r[0], digest(r[1])) in exact}.values())
     first = {(i, c) for i, c, _ in brute_near(rows)}
     rows = [r for r in rows if (r[0], r[0]) in first]
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, cols)).collect()}
@@ -37,7 +37,11 @@ def test_pipeline(spark, tmp_path, fixture_rows):
     for r in rows:
         ids, decoded = table.encode(r[1])
         want[r[0], r[2], r[3], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += copies[r[0]]
+    left = len(common._left)
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == +want and len(rows) > 40
+    assert len(common._left) == left + 1  # the result; all other tables are gone
+    spark.createDataFrame(rows, cols).selectExpr("*", "1 AS kept", "2 AS node", "map('k', doc_id) AS m", "text AS ids", "3 AS n_tokens").write.parquet(f"{tmp_path}/more/documents.parquet")
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, f"{tmp_path}/more").collect()) == +want
 
 
 def test_stages_keep_the_columns(spark):
