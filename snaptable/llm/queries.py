@@ -40,8 +40,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotrain.classify(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+    return cotrain.fit_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

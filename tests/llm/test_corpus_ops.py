@@ -381,21 +381,103 @@ def labelled(n, seed=2):
     return docs, labels
 
 
+class ArrayPool:
+    """The pool in memory, row by row: what Pool's jobs have to give."""
+
+    def __init__(self, dense, cells):
+        self.dense, self.at = np.array(dense, float), list(cells)
+        self.cells = np.bincount(self.at, minlength=cotrain.CELLS)
+
+    def z(self, model):
+        return [int(np.floor(max(-30, min(30, float((model.design(x[None]) @ model.w)[0]))) * 20)) + 600 for x in self.dense]
+
+    def histogram(self, model):
+        n = Counter(self.z(model))
+        return np.array([n[k] for k in range(cotrain.BINS)])
+
+    def sure_cells(self, model, zero, one):
+        out = np.zeros((2, cotrain.CELLS))
+        for z, c in zip(self.z(model), self.at):
+            if z <= zero or z >= one:
+                out[int(z >= one)][c] += 1
+        return out
+
+    def text_sums(self, model, taught, weights):
+        g, h = 0, 0
+        for x, c in zip(self.dense, self.at):
+            if taught[c] >= 0:
+                d = model.design(x[None])[0]
+                p = 1 / (1 + np.exp(-d @ model.w))
+                g, h = g + weights[taught[c]] * (taught[c] - p) * d, h + weights[taught[c]] * max(p * (1 - p), 1e-6) * np.outer(d, d)
+        return (g, h) if np.ndim(g) else (np.zeros(len(model.w)), np.zeros((len(model.w),) * 2))
+
+
 def test_classifier(spark):
     docs, labels = labelled(900)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
-    lab = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
-    model = cotrain.fit(d, lab, most_labelled=300, most_pool=300)
+    lab = spark.createDataFrame(labels[:300] + [(5000 + i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")  # labels without a document take no place
+    model = cotrain.fit(d, lab, most_labelled=300)
     assert model.log[0] == (0, 0) and max(model.log[-1]) > 0  # views taught each other
     got = {r.doc_id: r for r in cotrain.classify(d, model).collect()}
     assert len(got) == 900
     hit = [got[i].kept == bool(q) for i, q, _ in labels[300:]]
     assert sum(hit) / len(hit) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values())
-    again = cotrain.fit(d.repartition(5), lab.repartition(2), most_labelled=300, most_pool=300)
-    assert np.allclose(again.text.w, model.text.w)
-    few = cotrain.sample(d, lab, 50, 20).collect()
-    assert sum(r.label is not None for r in few) == 50 and sum(r.label is None for r in few) == 20
+    again = cotrain.fit(d.repartition(5), lab.repartition(2), most_labelled=300)
+    assert np.allclose(again.text.w, model.text.w, atol=1e-6) and again.log == model.log
+    both = {r.doc_id: r.score for r in cotrain.fit_and_classify(d, lab).collect()}
+    assert all(abs(both[i] - r.score) < 1e-6 for i, r in got.items())
+    # the same by brute force over rows in memory
+    rows = cotrain.with_labels(cotrain.features(d), lab)
+    few = cotrain.sample(rows, 300).collect()
+    pool = rows.where("label IS NULL").collect()
+    plain = cotrain.co_train([r.dense for r in few], [r.cell for r in few], [r.label for r in few], ArrayPool([r.dense for r in pool], [r.cell for r in pool]))
+    assert plain.log == model.log and np.allclose(plain.text.w, model.text.w, atol=1e-5) and np.allclose(plain.meta.w, model.meta.w, atol=1e-5) and plain.prior == model.prior
+    assert len(cotrain.sample(rows, 50).collect()) == 50 and len(few) == 300 and len(pool) == 600
+
+
+def test_classifier_has_no_cap(spark):
+    """Every unlabelled document that a view is sure of teaches, however many there are: ten times the rows, ten times the taught."""
+    docs, labels = labelled(400)
+    lab = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = cotrain.features(d)
+    free = F.col("doc_id") >= 200
+    many = rows.where(~free).unionByName(rows.where(free).crossJoin(spark.range(120)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id")).drop("id"))
+    a, b = cotrain.fit_rows(rows, lab), cotrain.fit_rows(many, lab)
+    assert sum(a.log[1]) > 0 and b.log[1] == tuple(120 * n for n in a.log[1]) and sum(b.log[1]) > 2000
+
+
+@pytest.mark.parametrize("n", [4, 9, 10, 48, 49, 50, 51, 80])
+def test_classifier_calibrates_at_every_size(spark, n):
+    """No number of labels at which calibration starts: each class holds out every fifth, and the fewer there are the less they change."""
+    rng = np.random.default_rng(n)
+    y = np.arange(n) % 2
+    x = rng.normal(size=(n, cotrain.DENSE)) + 2 * y[:, None]
+    model = cotrain.co_train(x, np.zeros(n, int), y, ArrayPool(np.zeros((0, cotrain.DENSE)), []))
+    assert (model.text.a, model.text.b) == (1, 0) if n < 9 else model.text.a != 1
+    assert ((model.score(x, np.zeros(n, int)) > 0.5) == y).mean() > 0.9
+
+
+def test_surest():
+    n = np.zeros(cotrain.BINS, int)
+    n[[0, 1, 500, 669, 670, 700, 1199, 1200]] = 5
+    assert cotrain.surest(n, 1) == (0, 1200) and cotrain.surest(n, 6) == (1, 1199) and cotrain.surest(n, 11) == (500, 700)
+    zero, one = cotrain.surest(n, 10**9)
+    p = lambda b: 1 / (1 + np.exp(-(b - 600) / 20))
+    assert p(one) >= cotrain.SURE > p(one - 1) and p(zero + 1) <= 1 - cotrain.SURE < p(zero + 2)
+
+
+def test_cells(spark):
+    import zlib
+
+    rows = [(a, b, n) for a in (None, "", "en", "é") for b in (None, "src1", "z" * 300) for n in (None, -4, 0, 1, 2, 3, 4, 1000, 2**40)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_chars long")
+    for r in df.select("*", cotrain.cell(F.col("lang"), F.col("source"), F.col("n_chars")).alias("c")).collect():
+        spot = lambda x, n: 0 if x is None else 1 + zlib.crc32(x.encode()) % (n - 1)
+        size = 0 if r.n_chars is None else min(23, 1 + max(0, r.n_chars).bit_length())
+        assert r.c == (spot(r.lang, 16) * 64 + spot(r.source, 64)) * 24 + size
+    assert cotrain.one_hot([0, cotrain.CELLS - 1]).sum() == 6
 
 
 def test_classifier_edges(spark, docs, clashing, none, fixture_rows):
@@ -407,7 +489,7 @@ def test_classifier_edges(spark, docs, clashing, none, fixture_rows):
     assert cotrain.classify(clashing, model).count() == len(fixture_rows)
     assert cotrain.classify(none, model).count() == 0 and cotrain.fit(none, lab).text is None
     ones = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
-    assert cotrain.fit(docs, ones).score(np.zeros((1, 24)), [(0, 16, 80)])[0] == 1
+    assert cotrain.fit(docs, ones).score(np.zeros((1, 24)), [0])[0] == 1
 
 
 # -- licenses
