@@ -33,7 +33,7 @@ from .exact import normalized
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
 FIRST_SLAB = 2.0**-12
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 #: Shingles of texts that are signed together.
 BATCH = 60_000
 #: Pairs of one text, or members of one bucket, that are dealt to one task.
@@ -247,7 +247,7 @@ def _verify(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """(a, b) -> (node, comp) for every node with a link, comp the smallest node: alternating large-star and small-star.
 
-    Each step gives every node the least neighbour by one aggregation and one join; nothing but three numbers a round
+    Each step gives every node the least neighbour by one aggregation and one join; nothing but two numbers a round
     reaches the driver. Centres of many links are broadcast (join_hot), so no task gets all of a centre's links. Each
     round's links are written to the shared folder and read from there; the tables of earlier rounds are deleted.
     """
@@ -264,10 +264,10 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     seen = mark(now)
     while seen[0]:
         with scratch() as keep:
-            both = materialize(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), label)
+            both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             large = stars(both, "u", "v", 2 * seen[0]).where("v > u").select("v", F.least("m", "u").alias("u")).where("u <> v").distinct()
             large = materialize(large, label)
-            small = stars(large, "v", "u", large.count())
+            small = stars(large, "v", "u", 2 * seen[0])  # of more links fewer centres are hot
             nxt = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
             nxt = keep(materialize(nxt, label))
         discard(now)
