@@ -16,7 +16,7 @@ from .common import SPACES, fresh, map_texts
 SYMBOLS = "#*$%&|<>"
 HEX_DIGITS, HEX_LETTERS = b"0123456789", b"abcdefABCDEF"
 MIN_WORDS = 50
-LEVEL, CHUNK, LEAST_CHUNK = 3, 4096, 512
+LEVEL, CHUNK, LEAST_CHUNK = 3, 4096, 512  # a rest below LEAST_CHUNK goes with the chunk before it
 #: (bytes below, least ratio, greatest ratio)
 #: The least ratios lie above wrapped base64 (to 1.33; in words of six 1.31 at 1,000 bytes, 1.38 at most), from 4,096 bytes on (full chunks
 #: too) above base32 (1.59), and below pieces of manuals, READMEs, licenses and translations in 16 languages (1.42 and more from
@@ -60,6 +60,14 @@ def in_band(raw: int, packed: int, bands=BANDS) -> bool:
     return low <= raw / packed <= high
 
 
+def chunks(raw: bytes, size: int = CHUNK) -> list[bytes]:
+    """All of raw in chunks of `size`; what is left at the end makes a chunk too, or from a second chunk on, if it is below LEAST_CHUNK, lengthens the last."""
+    starts = list(range(0, len(raw), size))
+    if len(starts) > 1 and len(raw) - starts[-1] < LEAST_CHUNK:
+        starts.pop()
+    return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]  # noqa: B905  none for no text
+
+
 def is_hex(raw: bytes) -> bool:
     """At least nine tenths of the bytes besides white space are hexadecimal digits, of both kinds as in encoded data (a table of numbers has few letters)."""
     n = len(raw.translate(None, SPACES.encode()))
@@ -85,11 +93,9 @@ def _maker(bands, chunk, bad_share):
         if raw:
             packed = len(zip_(raw))
             ratio = len(raw) / packed
-            for i in range(0, len(raw), chunk):
-                part = raw[i : i + chunk]
-                if len(part) >= LEAST_CHUNK:
-                    parts += 1
-                    bad += is_hex(part) or not in_band(len(part), len(zip_(part)), bands)
+            for part in chunks(raw, chunk):
+                parts += 1
+                bad += is_hex(part) or not in_band(len(part), len(zip_(part)), bands)
         kept = not failed and not is_hex(raw) and in_band(len(raw), packed, bands) and bad <= bad_share * parts
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, ratio, parts, bad, kept
 
@@ -100,15 +106,16 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ba
     """The columns `keep` of docs (default: doc_id) plus FIELDS, one row per row.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows of three words. kept: not base_failed,
-    the whole text in the band of its length and not hexadecimal, and at most `bad_share` of its chunks (of 512 bytes or more) out of theirs or hexadecimal.
-    A null text counts as empty: no words, so base_failed; ratio is 1. Rows are judged one by one, so ties and repeated
-    rows need no rule. Work and memory grow with one text at a time.
+    the whole text in the band of its length and not hexadecimal, and at most `bad_share` of its chunks out of theirs or
+    hexadecimal; every byte lies in one chunk. A null text counts as empty: no words, so base_failed; ratio is 1. Rows are
+    judged one by one, so ties and repeated rows need no rule; an empty table gives none. A kept column with the name of
+    a result comes back with an underscore in front. Work and memory grow with one text at a time, however long.
     """
     return map_texts(docs, lambda: _maker(bands, chunk, bad_share), FIELDS, text, ["doc_id"] if keep is None else keep)
 
 
 def drop_low_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns as they are."""
+    """The rows of docs that judge() keeps, with their columns as they are, whatever their names; nulls, repeated rows, empty tables and very long texts as there."""
     flag = fresh("kept_", docs.columns)
     kept = [(flag, T.BooleanType(), pa.bool_())]
 
