@@ -81,6 +81,61 @@ def test_quality_encoded():
     assert not quality.is_hex(numbers) and not quality.is_hex(b"") and not quality.is_hex(b"a bad face decade facade") and quality.is_hex(b"DEADbeef 01234567")
 
 
+def plain_verdict(text):
+    """ratio, chunks, chunks out of band and the verdict, by the rules as they are written down."""
+    import zstandard
+
+    def good(part):
+        ratio = len(part) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(part))
+        limits = {384: (1.18, 2.8), 512: (1.24, 2.8), 768: (1.28, 2.8), 1024: (1.33, 2.8), 4096: (1.4, 3.2), 16384: (1.62, 3.6)}
+        low, high = next((v for n, v in limits.items() if len(part) < n), (1.62, 4.2))
+        solid = [b for b in part if b not in b" \t\n\x0b\x0c\r"]
+        letters, digits = sum(b in b"abcdefABCDEF" for b in solid), sum(b in b"0123456789" for b in solid)
+        encoded = solid and letters + digits >= 0.9 * len(solid) and letters >= 0.2 * len(solid) and digits >= 0.4 * len(solid)
+        return low <= ratio <= high and not encoded, ratio
+
+    raw, parts = (text or "").encode(), []
+    if not raw:
+        return 1.0, 0, 0, False
+    while raw:
+        n = len(raw) if len(raw) < 4096 + 512 and len(raw) != 4096 else 4096
+        n = n if n <= 4096 or len(raw) - 4096 < 512 else 4096
+        parts, raw = [*parts, raw[:n]], raw[n:]
+    bad = sum(not good(p)[0] for p in parts)
+    whole = good(b"".join(parts))
+    return whole[1], len(parts), bad, whole[0] and bad <= 0.25 * len(parts) and not plain_quality(text)[-1]
+
+
+def test_quality_verdict(spark, docs):
+    """The whole verdict against the plain version: on the fixture, at lengths about the limits of chunks, and with junk in a short rest."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(4000))
+    texts = [prose[:n] for n in (300, 383, 384, 511, 512, 1023, 1024, 4095, 4096, 4097, 4607, 4608, 8192, 8703, 8704, 20_000)]
+    texts += [prose[:4096] + "q " * 255, prose[:4096] + " ".join(f"{rng.randrange(16**8):08x}" for _ in range(60))[:511], "é" * 300 + prose[:700], "Z" * 511]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    for r in quality.judge(df, keep=["text"]).collect():
+        ratio, parts, bad, kept = plain_verdict(r.text)
+        assert (r.n_chunks, r.n_bad_chunks, r.kept) == (parts, bad, kept) and abs(r.ratio - ratio) < 1e-9, r.text and (len(r.text), r.text[:60])
+    assert [len(x) for x in quality.chunks(bytes(4607))] == [4607] and [len(x) for x in quality.chunks(bytes(4608))] == [4096, 512] and quality.chunks(b"") == [] and quality.chunks(b"x") == [b"x"]
+
+
+def test_kept_columns_give_way(docs, clashing):
+    """A kept column with the name of a result is renamed, for all operators on texts."""
+    from pyspark.sql import functions as F
+
+    df = docs.select("doc_id", "text", F.lit(1).alias("KEPT"), F.lit(2).alias("_kept"), F.lit(3).alias("n_tokens"), F.lit(4).alias("spans"), F.lit(5).alias("text__in"))
+    assert quality.judge(df, keep=["doc_id", "KEPT", "_kept"]).columns[:3] == ["doc_id", "__KEPT", "_kept"]
+    for op, name in ((quality.judge, "KEPT"), (tokens.count_tokens, "n_tokens"), (bpe.encode_digests, "n_tokens"), (secrets.scan, "spans")):
+        out = op(df, keep=df.columns)
+        assert len(set(c.lower() for c in out.columns)) == len(out.columns) and out.count() == df.count()
+        assert {r[0] for r in out.select(next(c for c in out.columns if c.lower().lstrip("_") == name.lower())).collect()} <= {1, 2, 3, 4}
+        a, b = (sorted(map(str, op(x, keep=["doc_id"]).collect())) for x in (docs, clashing))
+        assert a == b
+
+
 def test_quality_long_alphabet():
     words = [str(i).encode() for i in range(2_200_000)]
     assert quality.repeated_words(words) == 0
@@ -122,18 +177,66 @@ def test_secret_base(spark, docs):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
 
 
+def entropy(s):
+    return -sum(c / len(s) * log2(c / len(s)) for c in Counter(s).values())
+
+
+def plain_spans(body, limit):
+    """Unions of overlapping hot windows and the first hottest window of each, every window counted anew."""
+    hot = [(i, entropy(body[i : i + 20])) for i in range(len(body) - 19)]
+    out = []
+    for i, e in hot:
+        if e >= limit - 1e-9:
+            if out and i < out[-1][1]:
+                a, _, h, best = out[-1]
+                out[-1] = (a, i + 20, *((i, e) if e > best + 1e-9 else (h, best)))
+            else:
+                out.append((i, i + 20, i, e))
+    return [x[:3] for x in out]
+
+
 def test_secret_entropy():
     hot = [i for i, t in enumerate(SECRETS) if any(k == "entropy" for k, _, _ in secrets.find(t))]
     assert hot == [13]
     assert secrets.find(SECRETS[13]) == [("entropy", 3, 30)]
+    s = "aaaaaaaaaab1c2d3e4f5g6h7i8j9k0lmmmmmmmmmmmmmmmmmmmmmmmmmQ9w8E7r6T5y4U3i2O1p0" + "z" * 30
+    for limit in (2.0, 3.0, 3.9, 4.2, 4.4):
+        assert secrets.hot_spans(s, limit) == plain_spans(s, limit)
+    assert len(secrets.hot_spans(s, 3.9)) == 2 and secrets.hot_spans("short", 1.0) == []
 
-    def entropy(s):
-        return -sum(c / len(s) * log2(c / len(s)) for c in Counter(s).values())
 
-    s = "aaaaaaaaaab1c2d3e4f5g6h7i8j9k0lmmmmmmmmmmmmmmmmmmmmmmmmm"
-    for limit in (2.0, 3.0, 3.9, 4.2, 4.4):
-        at = [i for i in range(len(s) - 19) if entropy(s[i : i + 20]) >= limit - 1e-9]
-        assert secrets.hot_span(s, limit) == ((at[0], at[-1] + 20) if at else None)
+#: (text, what of it only the entropy step finds)
+ONLY_ENTROPY = [
+    ("key qWzRtYpLmNbVcXkJhGfDsAqZ here", "qWzRtYpLmNbVcXkJhGfDsAqZ"), ("x=kQpWzMxNvBcYtRlHsDgFjAeU", "kQpWzMxNvBcYtRlHsDgFjAeU"), ("qmzvxkwjhpfbtgydlrcn", "qmzvxkwjhpfbtgydlrcn"), ("B7XQ2M9KZ4TP6WJ3VN8R", "B7XQ2M9KZ4TP6WJ3VN8R"), ("k3j9x2m7q8w1z5v4n6b0", "k3j9x2m7q8w1z5v4n6b0"), ("0F3A9C7E5B2D8146F0E1", "0F3A9C7E5B2D8146F0E1"),
+    ("/docs/EXAMPLE/9aF3kQ7zLw2XbN8vTr5YpC1mHd6s/readme", "9aF3kQ7zLw2XbN8vTr5YpC1mHd6s"), ("/v1/0123456789/9aF3kQ7zLw2XbN8vTr5YpC1mHd6s", "9aF3kQ7zLw2XbN8vTr5YpC1mHd6s"), ("9aF3kQ7zLw2XbEXAMPLE8vTr5YpC1mHd6s", ""), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ""), ("k9/Zb3+XqT7mP1/vR5cYwL2/aN8dHs4Gf6Je0", "k9/Zb3+XqT7mP1/vR5cYwL2/aN8dHs4Gf6Je0"),
+    ("getElementsByClassNameAndAttributeValue", ""), ("usr/share/doc/python3/examples/readme_first", ""), ("objects/123e4567-e89b-12d3-a456-426614174000/content", ""), ("Donaudampfschifffahrtsgesellschaft", ""), ("MAXIMUM_NUMBER_OF_RETRIES_ALLOWED_2", ""), ("antidisestablishmentarianism", ""), ("=" * 40, ""),
+]
+
+
+@pytest.mark.parametrize("text,key", ONLY_ENTROPY)
+def test_secrets_that_only_entropy_finds(text, key):
+    found = secrets.find("é " + text)
+    assert all(k == "entropy" for k, _, _ in found) and bool(found) == bool(key)
+    if key:  # a span may reach into its neighbours by less than a window
+        (_, a, b), *rest = found
+        at = 2 + text.index(key)
+        assert not rest and a <= at + 4 and at + len(key) <= b + 4 and at - a < 20 and b - at - len(key) < 20
+
+
+def test_secret_recall_and_precision():
+    """Random keys of each alphabet are found, words run together are not."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    share = lambda make: sum(bool(secrets.entropy_spans(make())) for _ in range(400)) / 400
+    for alphabet, n, least in ((string.ascii_letters + string.digits, 32, 0.98), (string.ascii_letters, 32, 0.85), ("0123456789ABCDEF", 24, 0.98), (string.ascii_uppercase + "234567", 32, 0.95), (string.ascii_letters + string.digits + "+/", 40, 0.98), (string.ascii_lowercase, 40, 0.3)):
+        assert share(lambda: "".join(rng.choice(alphabet) for _ in range(n))) >= least, alphabet  # noqa: B023
+    words = "the of and to in you that it he was for on are with as his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
+    camel = lambda: "".join(w.title() for w in rng.choices([w for w in words if len(w) > 3], k=6))
+    snake = lambda: "_".join(rng.choices(words, k=8))
+    path = lambda: "/".join(rng.choices(words, k=6)) + f"/{rng.randrange(9999)}/v{rng.randrange(9)}/file"
+    assert share(camel) <= 0.02 and share(snake) == 0 and share(path) == 0
 
 
 def test_redact(spark, none):
