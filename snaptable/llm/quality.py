@@ -124,3 +124,16 @@ def drop_low_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         return lambda texts: [f(texts)[-1]]
 
     return map_texts(docs, make, kept, text).where(f"`{flag}`").drop(flag)
+
+
+#: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; the compression bands have no SQL form.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n >= 2) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN c USING (r)
+"""

@@ -52,7 +52,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op2 that SQL can express."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op10 that SQL can express."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_chat_formatting, op4_mixing, op5_bpe, op6_minhash_dedup, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_secret_scan)
+    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_chat_formatting, op4_mixing, op5_bpe, op6_minhash_dedup, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_secret_scan, quality_base, secret_base)
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_mixing": mixing.SQL, "op7_exact_dedup": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_mixing": mixing.SQL, "op7_exact_dedup": exact.SQL, "quality_base": quality.BASE_SQL, "secret_base": secrets.BASE_SQL}

@@ -147,3 +147,12 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{kind}]", keep: li
         return "".join([*out, t[at:]])
 
     return map_texts(docs, lambda: lambda texts: [list(map(one, texts))], [("redacted", T.StringType(), pa.string())], text, ["doc_id"] if keep is None else keep)
+
+
+_KEYS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+#: Numbers of base matches; positions and entropy have no SQL form.
+BASE_SQL = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
