@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, map_texts
+from .common import WORD, held, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in a worker's table, about 50 MB; a fuller table starts anew, which costs time and changes no result.
@@ -29,9 +28,8 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@lru_cache(2)
 def coder(path: str) -> WordTable:
-    return WordTable(path)
+    return held(WordTable, path)
 
 
 class WordTable:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 SPACES = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once in a Python worker, in bytes; one longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: A key with this share of the rows or more is hot, so at most so many keys are.
 MOST_HOT = 4096
@@ -36,6 +37,7 @@ _shipped: set[str] = set()
 _left: dict[str, SparkSession] = {}  # tables that are still there
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_held: dict[tuple, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,6 +190,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def held(make: Callable, *args):
+    """make(*args), kept in this Python worker for its next tasks until another operator's is asked for: workers are
+    reused, and two operators' tables together would cost memory for nothing."""
+    key = make, *args
+    if key not in _held:
+        if _held:
+            _held.clear()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+        _held[key] = make(*args)
+    return _held[key]
+
+
 def fresh(name: str, taken: Sequence[str]) -> str:
     """name, or name with underscores in front if the table has a column of that name (in any case)."""
     low = {c.lower() for c in taken}

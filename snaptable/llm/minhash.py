@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, drop_rows, join_hot, map_texts, materialize, probable, scratch, ship, slices
+from .common import discard, drop_rows, held, join_hot, map_texts, materialize, probable, scratch, ship, slices
 from .exact import normalized
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,7 +35,7 @@ BANDS, ROWS = 36, 7
 FIRST_SLAB = 2.0**-12
 MOST_WORDS = 150_000
 #: Shingles of texts that are signed together.
-BATCH = 60_000
+BATCH = 40_000
 #: Pairs of one text, or members of one bucket, that are dealt to one task.
 MOST_PAIRS = 256
 
@@ -182,9 +182,8 @@ class Signer:
         np.minimum.at(sig, doc[who] * self.m + comp, time)
 
 
-@lru_cache(4)
 def _signer(bands: int, rows: int) -> Signer:
-    return Signer(bands, rows)
+    return held(Signer, bands, rows)
 
 
 def bitmap(signer: Signer, text: str | None):

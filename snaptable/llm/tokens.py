@@ -7,14 +7,13 @@ node where a pre-token ends gives that pre-token's count, which is stored and lo
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import held, map_texts
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -88,11 +87,14 @@ class Trie:
         return sum(map(self.counts.__getitem__, words))
 
 
-@lru_cache(2)
-def trie(path: str) -> Trie:
+def _load(path: str) -> Trie:
     return Trie(load_pieces(path))
 
 
+def trie(path: str) -> Trie:
+    return held(_load, path)
+
+
 def _maker(path):
     def make():
         t = trie(path)
