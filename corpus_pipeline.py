@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source of every row, with the number of its tokens and the digests of its ids and decoded text."""
-    return bpe.encode_digests(docs, keep=["doc_id", "lang", "source"])
+    return common.materialize(bpe.encode_digests(docs, keep=["doc_id", "lang", "source"]), "bpe")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("bpe", encode_bpe)]

@@ -27,11 +27,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once in a Python worker, in bytes; one longer text comes alone.
 SLICE_BYTES = 1 << 20
 
-#: A key with this share of the rows or more is hot, so at most so many keys are.
-MOST_HOT = 4096
+#: A key with this share of the rows or more is hot, so at most so many keys are; with fewer rows than HOT_ROWS none is.
+MOST_HOT, HOT_ROWS = 4096, 256
 #: Bits of a filter for each key, and at most (16 MB).
 FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 27
 
+#: Texts in an Arrow batch while a table is written.
+BATCH_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 _left: dict[str, SparkSession] = {}  # tables that are still there
@@ -66,7 +69,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The table stays until discard(), the end of the scratch() block that it was made in, or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/snaptable/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     if not _left:
@@ -77,6 +81,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Arrow batches have 1,000 rows at most: 10,000 texts at once cost each task a tenth of a
+    gigabyte in the JVM and in Python. The session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before))) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _delete(path: str) -> None:
     spark = _left.pop(path, None)
     parts = urlsplit(path)
@@ -145,14 +162,19 @@ def probable(key: Column, keys: DataFrame) -> Column:
 def join_hot(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with table, which has one row for each key and in `size` how many of the `total` rows hold it.
 
-    Keys with 1/4096 of all rows or more, 4,096 at most, are broadcast, so their rows go nowhere; the others meet by a
-    shuffle in which no key is large. rows are read twice."""
+    Keys with 1/4096 of all rows or more (and HOT_ROWS at least) are hot, 4,096 at most: they are broadcast, so their rows
+    go nowhere. The others meet by a shuffle in which no key is large. Where keys of both kinds are there, rows are read twice.
+    table is one of materialize()."""
     other = fresh(f"{on}__", [*rows.columns, *table.columns])
     table = table.withColumnRenamed(on, other)
-    is_hot = F.col(size).cast("decimal(38,0)") * MOST_HOT >= F.lit(total)
-    hot, cold = F.broadcast(table.where(is_hot)), table.where(~is_hot)
+    least = F.lit(max(HOT_ROWS, -(-total // MOST_HOT)))
+    hot, cold = F.broadcast(table.where(F.col(size) >= least)), table.where(F.col(size) < least)
+    if hot.isEmpty():
+        return rows.join(cold, rows[on] == cold[other], how).drop(other)
+    if cold.isEmpty():
+        return rows.join(hot, rows[on] == hot[other], how).drop(other)
     met = rows.join(hot, rows[on] == hot[other])
-    rest = rows.join(F.broadcast(table.where(is_hot).select(other)), rows[on] == F.col(other), "left_anti")
+    rest = rows.join(hot, rows[on] == hot[other], "left_anti")
     return met.unionByName(rest.join(cold, rest[on] == cold[other], how)).drop(other)
 
 
