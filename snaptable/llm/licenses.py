@@ -82,6 +82,11 @@ TEMPLATES = (*((k, x) for k, group in HEADERS.items() for x in group), *((k, x)
 VOCABULARY = tuple(sorted({t for _, x in TEMPLATES for t in terms(x)}))
 
 
+def rounded(cosine: float) -> float:
+    """To nine digits, so that equal cosines are equal however they were summed."""
+    return round(min(1.0, cosine), 9)
+
+
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
     """Rows of docs and, for each template term, the rows that hold it: sums over all rows, as many as the vocabulary."""
     known = frozenset(VOCABULARY)
@@ -141,8 +146,8 @@ class Matcher:
                     dots[i] = dots.get(i, 0.0) + w * x
         if not dots:
             return 0.0, -1
-        cosine, _, i = min((-d / sqrt(square), self.names[i], i) for i, d in dots.items())
-        return min(1.0, -cosine), i
+        cosine, _, i = min((-rounded(d / sqrt(square)), self.names[i], i) for i, d in dots.items())
+        return -cosine, i
 
     def best(self, text: str, first: int = 0) -> tuple[float, str | None]:
         """The greatest cosine to a template from `first` on, and its license; of equal ones the first name."""
@@ -167,7 +172,7 @@ class Matcher:
                 counts[t] += 1
             total += len(added)
             while first < last:
-                if total >= least and dot > 0 and (cosine := min(1.0, dot / sqrt(square))) >= self.threshold and cosine > top[0] + 1e-9:
+                if total >= least and dot > 0 and (cosine := rounded(dot / sqrt(square))) >= self.threshold and cosine > top[0]:
                     top = cosine, lines[first][0], end
                 if total <= most:
                     break
@@ -244,6 +249,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     holds a license file (by its name, with such a line, or by its whole text, which is held against TEXTS and WHOLE) gives its license; of several license
     files in a directory the one of highest cosine counts, then the least name. Paths are split at "/"; a null path is
     in no directory and inherits nothing. A null text counts as empty. start and end are code points, -1 if not own.
+    Repeated rows get equal results, also as license files; of equally near templates the least name counts, of equal
+    lines the first. Very long texts are read whole, line by line. Other columns are not read, whatever their names; an
+    empty table gives an empty result.
     """
     matcher = Matcher(*document_frequencies(docs, text), threshold, file_threshold)
     cols = docs.select(docs[doc_id].alias("doc_id"), docs[path].cast("string").alias("path"), docs[text].cast("string").alias("text"))

@@ -531,6 +531,117 @@ def test_license_anchors_lose_nothing(files):
         assert (found[0], found[1]) == ((name, cosine) if cosine >= m.threshold else (None, 0.0)), line
 
 
+def plain_license(m, text):
+    """Matcher.scan() without anchors, without leaving templates out, every run counted anew."""
+    lines, start = [], 0
+    for line in (text or "").split("\n"):
+        if held := licenses.TERM.findall(line.lower()):
+            lines.append((start, start + len(line), held))
+        start += len(line) + 1
+
+    def cosine(words, i):
+        v = Counter(words)
+        square = sum((c * m.idf.get(t, m.highest)) ** 2 for t, c in v.items())
+        dot = sum(c * m.idf.get(t, m.highest) * m.vectors[i].get(t, 0) for t, c in v.items())
+        return round(min(1.0, dot / square**0.5), 9) if dot and len(words) >= m.least[i] else 0.0
+
+    def best(words, first=0):
+        return min(((-cosine(words, i), m.names[i], i) for i in range(first, len(m.names))))
+
+    hits = []
+    for a, b, held in lines:
+        c, _, i = best(held)
+        if -c >= m.threshold:
+            hits.append((-c, i, a, b))
+    for i in range(len(m.names)):
+        first, top = 0, (0.0, -1, -1)
+        for last in range(1, len(lines)):
+            while first < last - 1 and sum(len(x[2]) for x in lines[first:last]) > m.sizes[i]:
+                first += 1
+            for f in range(first, last):
+                words = [t for x in lines[f : last + 1] for t in x[2]]
+                c = cosine(words, i)
+                if c >= m.threshold and c > top[0]:
+                    top = c, lines[f][0], lines[last][1]
+                if len(words) <= m.sizes[i]:
+                    break
+        if top[0]:
+            hits.append((top[0], i, *top[1:]))
+    found = max(hits, key=lambda h: h[0], default=None)
+    given = max((h for h in hits if h[1] >= m.first_text and m.names[h[1]] != "Proprietary"), key=lambda h: h[0], default=None)
+    full = max((h for h in hits if h[1] >= m.first_whole), key=lambda h: h[0], default=None)
+    if found and m.names[found[1]] == "Proprietary" and given:
+        found = given
+    if full and full[2] <= found[2] and found[3] <= full[3]:
+        found = full
+    whole = best([t for x in lines for t in x[2]], m.first_text)
+    return (m.names[found[1]], *found[:1], *found[2:]) if found else None, -whole[0], whole[1]
+
+
+def test_license_scan_equals_brute_force(files):
+    """Headers and parts of licenses with words changed, lines joined and cut anew, among other lines."""
+    m = licenses.Matcher(*licenses.document_frequencies(files))
+    rng = random.Random(12)
+    code = lambda: f"def f_{rng.randrange(99)}(x): return x * {rng.randrange(9)}"
+    seen = Counter()
+    for _ in range(120):
+        name, x = rng.choice([t for t in licenses.TEMPLATES if len(t[1]) < 3000])
+        words = x.split()
+        for i in rng.sample(range(len(words)), rng.randrange(len(words) // 6 + 1)):
+            words[i] = rng.choice(["frob", "the", "software", "2.0", ""])
+        body = textwrap.fill(" ".join(words), rng.choice([40, 70, 10_000]), initial_indent="# ", subsequent_indent="# ")
+        text = "\n".join([*(code() for _ in range(rng.randrange(4))), "All rights reserved." * rng.randrange(2), body, *(code() for _ in range(rng.randrange(4)))])
+        got, want = m.scan(text), plain_license(m, text)
+        seen[name == got[0], got[0] is None] += 1
+        if want[0]:
+            assert got[0] == want[0][0] and got[1] == pytest.approx(want[0][1]) and got[2:4] == want[0][2:], text
+        else:
+            assert got[0] is None, text
+        if got[4] or want[1] >= m.floor:
+            assert got[4] == pytest.approx(want[1]) and (got[5] == want[2] or want[1] == pytest.approx(got[4]))
+    assert seen[True, False] > 80
+
+
+#: Notices as they stand in files, in words that no template has as a whole.
+HELD_OUT = [
+    ("MIT", "/*\n * Copyright (C) 2021 Jane Roe <jane@example.org>\n *\n * Use of this source code is governed by an MIT-style license.\n * SPDX-License-Identifier: MIT\n */"), ("Apache-2.0", "// Copyright 2015 Frob Inc.\n//\n// Licensed under the Apache License, Version 2.0 (the License);\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//   https://www.apache.org/licenses/LICENSE-2.0\n"),
+    ("GPL-3.0", "This file is part of Frob.\n\nFrob is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"), ("GPL-2.0", "Frob is free software; you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free\nSoftware Foundation; either version 2 of the License, or (at your option)\nany later version.\n"),
+    ("LGPL-2.1", "Frob is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"), ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+    (None, "/* Copyright 2020 Frob. Ask before you use it in public. */\nint general_license = 2;"), (None, "The license of the software was the subject of the general meeting,\nand the public had the right to copy the terms of version 3."),
+]
+
+
+@pytest.mark.parametrize("name,head", HELD_OUT)
+def test_license_notices_held_out(name, head):
+    m = licenses.Matcher(1000, {t: 300 for t in ("the", "of", "and", "to", "in", "a", "this", "all", "is", "for")})
+    code = "\n".join(f"x_{i} = frobnicate(y_{i}, {i})" for i in range(60))
+    assert m.scan(f"{head}\n{code}")[0] == name
+
+
+def test_license_inheritance_equals_brute_force(spark):
+    """Nearest ancestor by path joins against walking up each path."""
+    rng = random.Random(6)
+    rows, heads = [], {k: v[0] for k, v in licenses.HEADERS.items() if k != "Proprietary"}
+    for i in range(300):
+        parts = [rng.choice("abc") for _ in range(rng.randrange(5))]
+        given = rng.choice(sorted(heads)) if rng.random() < 0.1 else None
+        rows.append((i, None if rng.random() < 0.03 else "/".join(["", *parts, "LICENSE" if given else f"f{i}"]), heads[given] if given else rng.choice([None, "", "code"])))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)).collect()}
+    files = defaultdict(list)
+    for i, p, t in rows:
+        if p and t and p.endswith("LICENSE"):
+            files[p.rpartition("/")[0]].append((-got[i].cosine, got[i].license))
+    for i, p, t in rows:
+        if t and t != "code":
+            assert got[i].origin == "own"
+            continue
+        up = (p or "x").rpartition("/")[0] if p else None
+        while up is not None and up not in files:
+            up = up.rpartition("/")[0] if up else None
+        want = min(files[up])[1] if up is not None else None
+        assert (got[i].license, got[i].origin, got[i].license_dir) == (want, "inherited" if want else "none", up), p
+
+
 def test_license_frequencies(files, docs):
     rows, held = licenses.document_frequencies(files)
     assert rows == len(FILES)
