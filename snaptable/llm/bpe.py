@@ -107,7 +107,9 @@ def encode_digests(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """The columns `keep` of docs (default: doc_id) plus n_tokens and the digests of ids and decoded text, one row per row.
 
     As the tokenizers library encodes (no special tokens added; their strings in a text become their ids, as there) and
-    decodes (special tokens kept). A null text counts as empty: 0 tokens. Rows need no order; repeats give the same.
+    decodes (special tokens kept). A null text counts as empty: 0 tokens. Rows need no order; repeats give the same. A
+    very long text is encoded whole, word by word. Other columns are not read; a kept one with the name of a result comes
+    back with an underscore in front. An empty table gives no rows.
     """
     return map_texts(docs, _digests(path or default_path()), DIGESTS, text, ["doc_id"] if keep is None else keep)
 
@@ -118,19 +120,20 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, p
 
 
 def encode_by_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """The same through one table of distinct words for the whole corpus: doc_id, ids, decoded.
+    """The same through one table of distinct words for the whole corpus: doc_id, ids, decoded, one row per row.
 
-    Words are split and counted out in Spark, each distinct word is encoded once, and ids come back by a join on the
-    word and by position; decoding joins ids with pieces. It shuffles every word position twice, several times the
-    text's size, so encode() is the way for large tables. Ids of documents must be unique here; null ids are dropped.
+    Distinct texts are split in Spark, each distinct word is encoded once, and ids come back by a join on the word and by
+    position; decoding joins ids with pieces. It shuffles every word position twice, several times the text's size, so
+    encode() is the way for large tables. Null texts count as empty; null and repeated ids keep their rows.
     """
     path = path or default_path()
     spark = docs.sparkSession
-    words = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("doc_id"), F.posexplode_outer(F.regexp_extract_all(F.coalesce(docs[text].cast("string"), F.lit("")), F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    words = rows.groupBy("h").agg(F.first("text").alias("text")).select("h", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
     coded = encode(words.select("word").where("word IS NOT NULL").distinct(), "word", ["word"], path).select(F.col("word").alias("w"), "ids")
-    tokens = words.join(coded, F.col("word") == F.col("w"), "left").select("doc_id", "pos", F.posexplode_outer("ids").alias("k", "id"))
+    tokens = words.join(coded, F.col("word") == F.col("w"), "left").select("h", "pos", F.posexplode_outer("ids").alias("k", "id"))
     table = [(i, p) for i, p in coder(path).pieces.items()]  # as large as the vocabulary
     pieces = spark.createDataFrame(table, "piece_id long, piece string")
     tokens = tokens.join(pieces, F.col("id") == F.col("piece_id"), "left")
-    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "k", "id", "piece")))).alias("t"))
-    return rows.select("doc_id", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("decoded"))
+    made = tokens.groupBy("h").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "k", "id", "piece")))).alias("t"))
+    return rows.drop("text").join(made, "h").select("doc_id", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("decoded"))

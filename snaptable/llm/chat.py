@@ -28,7 +28,8 @@ def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     trainable: code points loss_start (inclusive) to loss_end (exclusive) of formatted. is_whole: it holds every turn. If turns follow the last such
     turn, or there is none, an example "tail" holds the whole conversation with an empty loss span.
     Turns are ordered by turn (null first), then role and text, so ties have a fixed order and repeated rows stay
-    repeated. Null roles and texts are empty; rows of null conv_id form one conversation. Other columns are not read.
+    repeated. Null roles and texts are empty; rows of null conv_id form one conversation. Other columns are not read,
+    whatever their names. An empty table gives no examples; a very long text is one value like any other.
     An example is one string with all preceding turns, so a conversation has to fit in a row; its turns are gathered
     once and the examples are cut from the one string of the whole conversation, so no pairs of turns are formed.
     """

@@ -111,6 +111,8 @@ def _maker(path):
 def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The columns `keep` of docs (default: doc_id) plus n_pretokens (words) and n_tokens, one row per row.
 
-    A null text counts as empty: 0 and 0. Whole texts are counted; repeated rows get the same counts.
+    A null text counts as empty: 0 and 0. Whole texts are counted, however long; repeated rows get the same counts, and of
+    equally good segmentations the one of fewest tokens counts. Other columns are not read; a kept one with the name of a
+    result comes back with an underscore in front. An empty table gives no rows.
     """
     return map_texts(docs, _maker(path or default_path()), FIELDS, text, ["doc_id"] if keep is None else keep)

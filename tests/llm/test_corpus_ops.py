@@ -356,8 +356,16 @@ def test_chat_sql(spark, talks):
     assert sorted((tuple(r) for r in chat.read_back(chat.expand(chat.with_probe(talks))).select(*names).collect()), key=str) == want
 
 
+def test_chat_very_long(spark):
+    """A text of two million code points and 300 turns, read back whole."""
+    long = "é<|\\" * 500_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, "assistant" if i % 2 else "user", f"t{i}<|") for i in range(300)]
+    back = {r.conv_id: r for r in chat.read_back(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert back[1].loss_chars == len(long) and back[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and back[2].n_turns == 300 and back[2].n_examples == 150
+
+
 def test_chat_edges(talks):
-    assert chat.expand(talks.where("false")).count() == 0
+    assert chat.expand(talks.where("false")).count() == chat.read_back(chat.expand(talks.where("false"))).count() == 0
     more = talks.select("*", *[F.lit(1).alias(c) for c in ("parts", "whole", "ends", "pos", "cut", "last", "t", "example")])
     assert sorted(map(str, chat.expand(more).collect())) == sorted(map(str, chat.expand(talks).collect()))
     probe = chat.read_back(chat.expand(chat.with_probe(talks))).where("conv_id = -1").first()
