@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize
+from .common import join_hot, map_texts, materialize, scratch
 from .license_texts import WHOLE
 
 #: Lines that name a license.
@@ -254,26 +254,31 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     empty table gives an empty result.
     """
     matcher = Matcher(*document_frequencies(docs, text), threshold, file_threshold)
-    cols = docs.select(docs[doc_id].alias("doc_id"), docs[path].cast("string").alias("path"), docs[text].cast("string").alias("text"))
-
-    def make():
-        return lambda texts: list(zip(*map(matcher.scan, texts), strict=True)) if texts else [[] for _ in FIELDS]
-
-    seen = map_texts(cols, make, FIELDS, "text", ["doc_id", "path"])
-    up = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    seen = materialize(seen.withColumn("dir", F.when(F.col("path").isNotNull(), up)), "license-lines")
-    by_name = F.col("path").rlike(FILE_NAME.pattern) & F.col("own_license").isNotNull()
-    by_text = F.col("whole_cosine") >= file_threshold
-    files = seen.where(F.col("dir").isNotNull() & (by_name | by_text))
-    given = F.when(by_text, F.struct((-F.col("whole_cosine")).alias("c"), F.col("whole_license").alias("name"))).otherwise(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license").alias("name")))
-    files = materialize(files.groupBy(F.col("dir").alias("license_dir")).agg(F.min(given).alias("given")), "license-files")
-    # directories, not files, look for their ancestors
-    dirs = seen.where("dir IS NOT NULL").select("dir").distinct()
-    steps = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("up"))
-    near = above.join(files, F.col("up") == F.col("license_dir")).groupBy(F.col("dir").alias("d")).agg(F.max(F.struct(F.length("up").alias("depth"), "license_dir", "given")).alias("best"))
-    near = materialize(near.select("d", "best.license_dir", F.col("best.given.name").alias("dir_license"), (-F.col("best.given.c")).alias("dir_cosine")), "license-dirs")
-    out = seen.join(near, F.col("dir") == F.col("d"), "left")
+    with scratch() as keep:
+        cols = docs.select(docs[doc_id].alias("doc_id"), docs[path].cast("string").alias("path"), docs[text].cast("string").alias("text"))
+
+        def make():
+            return lambda texts: list(zip(*map(matcher.scan, texts), strict=True)) if texts else [[] for _ in FIELDS]
+
+        seen = map_texts(cols, make, FIELDS, "text", ["doc_id", "path"])
+        up = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+        seen = keep(materialize(seen.withColumn("dir", F.when(F.col("path").isNotNull(), up)), "license-lines"))
+        by_name = F.col("path").rlike(FILE_NAME.pattern) & F.col("own_license").isNotNull()
+        by_text = F.col("whole_cosine") >= file_threshold
+        files = seen.where(F.col("dir").isNotNull() & (by_name | by_text))
+        given = F.when(by_text, F.struct((-F.col("whole_cosine")).alias("c"), F.col("whole_license").alias("name"))).otherwise(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license").alias("name")))
+        files = materialize(files.groupBy(F.col("dir").alias("license_dir")).agg(F.min(given).alias("given")), "license-files")
+        # directories, not files, look for their ancestors; a directory may have a third of all files, and a root is above all
+        dirs = materialize(seen.where("dir IS NOT NULL").groupBy("dir").agg(F.count("*").alias("n")), "license-dirs")
+        steps = F.split("dir", "/")
+        above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("up"))
+        below = materialize(above.groupBy(F.col("up").alias("b_up")).agg(F.count("*").alias("below")), "license-below")
+        givers = materialize(files.join(below, F.col("license_dir") == F.col("b_up")).select(F.col("b_up").alias("up"), "below", "given"), "license-givers")
+        met = join_hot(above, givers, "up", "below", below.agg(F.coalesce(F.sum("below"), F.lit(0))).first()[0])
+        near = met.groupBy("dir").agg(F.max(F.struct(F.length("up").alias("depth"), F.col("up").alias("license_dir"), "given")).alias("best"))
+        near = near.join(dirs.withColumnRenamed("dir", "d"), F.col("dir") == F.col("d")).select("dir", "n", "best.license_dir", F.col("best.given.name").alias("dir_license"), (-F.col("best.given.c")).alias("dir_cosine"))
+        near = keep(materialize(near, "license-near"))
+        out = join_hot(seen, near, "dir", "n", dirs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "left")
     own = F.col("own_license").isNotNull()
     origin = F.when(own, "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", F.coalesce("own_license", "dir_license").alias("license"), origin.alias("origin"), F.when(own, F.col("own_cosine")).otherwise(F.coalesce("dir_cosine", F.lit(0.0))).alias("cosine"), "start", "end", F.when(~own, F.col("license_dir")).alias("license_dir"))
