@@ -2,7 +2,7 @@
 
 No merge crosses white space, so a text's ids are its words' ids put together by position. Each Python worker keeps a
 table of the distinct words it has met: a word is encoded once, later positions look its ids up. Decoding joins ids
-with the table of pieces; the words' pieces are kept beside their ids.
+with the table of pieces.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def coder(path: str) -> WordTable:
 
 
 class WordTable:
-    """word (bytes) -> (ids as little-endian unsigned 32-bit integers, pieces joined by spaces)."""
+    """word (bytes) -> ids as little-endian unsigned 32-bit integers (bytes); pieces: by id."""
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,7 +45,7 @@ class WordTable:
         if self.tok.decoder is not None:
             raise ValueError("only vocabularies without a decoder are decoded by joining pieces")
         self.pieces = {i: p for p, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.words: dict[bytes, bytes] = {}
         self.most = most
 
     def add(self, words: set[bytes]) -> None:
@@ -55,15 +55,17 @@ class WordTable:
             self.words.clear()
         new = [w for w in words if w not in self.words]
         for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.words[w] = np.asarray(e.ids, "<u4").tobytes(), " ".join([self.pieces[i] for i in e.ids])
+            self.words[w] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as bytes, and the decoded text."""
+        import numpy as np
+
         words = (text or "").encode().split()
         if missing := {w for w in set(words) if w not in self.words}:
             self.add(set(words) if len(self.words) + len(missing) > self.most else missing)
-        found = [self.words[w] for w in words]
-        return b"".join([x for x, _ in found]), " ".join([p for _, p in found if p])
+        ids = b"".join([self.words[w] for w in words])
+        return ids, " ".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 DIGESTS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]

@@ -41,6 +41,7 @@ _left: dict[str, SparkSession] = {}  # tables that are still there
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 _held: dict[tuple, object] = {}
+_asked: set[tuple] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,20 +214,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def held(make: Callable, *args):
-    """make(*args), kept in this Python worker for its next tasks until another operator's is asked for: workers are
-    reused, and two operators' tables together would cost memory for nothing."""
+    """make(*args), kept in this Python worker for its next tasks of the same kind: see only_asked()."""
     key = make, *args
+    _asked.add(key)
     if key not in _held:
-        if _held:
-            _held.clear()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
         _held[key] = make(*args)
     return _held[key]
 
 
+def only_asked(make: Callable):
+    """make(), after which this worker keeps what make() has asked held() for and nothing else: workers are reused, and
+    other operators' tables would cost memory for nothing."""
+    _asked.clear()
+    out = make()
+    if gone := _held.keys() - _asked:
+        for key in gone:
+            del _held[key]
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+    return out
+
+
 def fresh(name: str, taken: Sequence[str]) -> str:
     """name, or name with underscores in front if the table has a column of that name (in any case)."""
     low = {c.lower() for c in taken}
@@ -272,7 +282,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence[pa.Arr
     names += [n for n, _, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        f = only_asked(make)
         for batch in batches:
             for start, n in slices(batch.column(at)):
                 part = batch.slice(start, n)

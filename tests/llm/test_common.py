@@ -81,3 +81,21 @@ def test_slices():
         part = texts.slice(start, n)
         assert n == 1 or sum(len(x.as_py() or "") for x in part) <= common.SLICE_BYTES
     assert list(common.slices(texts, texts))[0] == (0, 1) and list(common.slices(texts.slice(0, 0))) == []
+
+
+def test_a_worker_holds_one_operators_tables():
+    made = []
+
+    def table(name):
+        made.append(name)
+        return [name]
+
+    before = dict(common._held)
+    common._held.clear()
+    a = common.only_asked(lambda: common.held(table, "a"))
+    assert common.only_asked(lambda: common.held(table, "a")) is a and made == ["a"]
+    common.only_asked(lambda: (common.held(table, "b"), common.held(table, "c")))
+    assert len(common._held) == 2 and common.only_asked(lambda: 5) == 5 and not common._held
+    assert common.only_asked(lambda: common.held(table, "a")) == ["a"] and made == ["a", "b", "c", "a"]
+    common._held.clear()
+    common._held.update(before)
