@@ -23,7 +23,8 @@ from .common import map_texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 _either = lambda s: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
-ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_KEYS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+ASSIGN = re.compile(rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A match that is too short never hides a longer one here, so the least length stands in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
@@ -149,7 +150,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{kind}]", keep: li
     return map_texts(docs, lambda: lambda texts: [list(map(one, texts))], [("redacted", T.StringType(), pa.string())], text, ["doc_id"] if keep is None else keep)
 
 
-_KEYS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
 #: Numbers of base matches; positions and entropy have no SQL form.
 BASE_SQL = rf"""
 SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
