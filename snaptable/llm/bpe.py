@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import WORD, held, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in a worker's table, about 100 MB; a fuller table starts anew, which costs time and changes no result.
-MOST_WORDS = 400_000
+#: Words in a worker's table, about 60 MB; a fuller table starts anew, which costs time and changes no result.
+MOST_WORDS = 300_000
 
 
 def default_path() -> str:

@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 #: A key with this share of the rows or more is hot, so at most so many keys are; with fewer rows than HOT_ROWS none is.
-MOST_HOT, HOT_ROWS = 4096, 256
+MOST_HOT, HOT_ROWS = 4096, 10_000
 #: Bits of a filter for each key, and at most (16 MB).
 FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 27
 
