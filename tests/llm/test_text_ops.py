@@ -1,6 +1,7 @@
 """Operators that look at one text at a time, against plain versions of themselves."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from math import log, log2
@@ -317,3 +318,33 @@ def test_trie_shares_prefixes():
     t.insert("▁ab")
     assert len(t.score) == nodes == 5
     assert t.tokens([b"ba"]) == 3 and t.tokens([b"ab", b"q"]) == 2 + 2
+
+
+def test_new_nodes_look_up_no_substrings():
+    """What a new node costs doesn't depend on the longest piece, and known words outlive the trie: same counts, ties and bytes too."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __contains__(self, key):
+            self.n += 1
+            return super().__contains__(key)
+
+    rng = random.Random(3)
+    letters = "abcé漢𝄞"
+    word = lambda most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    for absent in ("", "c", "é", "▁", "a漢𝄞"):
+        pieces = Asked({p: -rng.randint(1, 12) / 2 for p in ["▁", *letters, *(rng.choice(["", "▁"]) + word(16) for _ in range(40)), *(word(3) for _ in range(40))] if p not in absent})
+        t = tokens.Trie(pieces, most=200)
+        pieces.n = 0
+        texts = [[word(20).encode() for _ in range(30)] for _ in range(10)] + [[], ["é𝄞".encode() * 500, b"ab", b"ab"]]
+        got = [t.tokens(ws) for ws in texts] + t.tokens_of(texts)
+        assert pieces.n == 0
+        assert got == 2 * [sum(plain_count(dict(pieces), "▁" + w.decode()) for w in ws) for ws in texts]
+    t = tokens.Trie({"a": -1.0, "▁": -2.0}, most=3)
+    t.tokens([b"a", b"aa"])
+    assert len(t.score) == 4 and t.tokens([b"aa", b"b", b"a"]) == 3 + 2 + 2 and len(t.score) == 3
